@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm import canon, sentences
+from sylva.llm import canon, mojibake, sentences
 from sylva.tables import once, table
 
 
@@ -26,6 +26,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(mapped, rows["cclass"] == mapped["value"]).select("entry_id", F.col("goal").alias("term_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p6_found": p6_found}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold wrongly decoded text, with the MD5 of the restored text."""
+    return mojibake.restore(table(spark, folder, "documents"), "text", ["doc_id"], md5="restored_md5")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p6_found": p6_found, "p10_found": p10_found}
 
 SQL: dict[str, str] = {}
