@@ -212,9 +212,8 @@ def map_to_list(values: DataFrame, column: str, entries: DataFrame, threshold: f
     typed = everything.filter(F.size("toks") > 0)
     refs = _tokenised(entries.select("entry").distinct(), "entry", "etoks").filter(F.size("etoks") > 0)
     df_ref = refs.select(F.explode(F.array_distinct("etoks")).alias("ref")).groupBy("ref").agg(F.count("*").alias("df"))
-    n_ref = refs.groupBy().agg(F.count("*").alias("n"))
-    vocabulary = df_ref.join(n_ref)  # one row on the right
-    vocabulary = vocabulary.select("ref", "df", (F.lit(1.0) + F.log(F.col("n") / F.col("df"))).alias("w"))
+    n_ref = max(refs.count(), 1)
+    vocabulary = df_ref.select("ref", "df", (F.lit(1.0) + F.log(F.lit(n_ref) / F.col("df"))).alias("w"))
 
     distinct_tokens = typed.select(F.explode("toks").alias("tok")).distinct()
     near = _keys_of(distinct_tokens, False).join(_keys_of(vocabulary.select("ref"), True), "key").select("tok", "ref").distinct()
