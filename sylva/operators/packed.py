@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from sylva.functions import buffers as B
-from sylva.tables import names_apart, quoted
+from sylva.tables import inputs, kinds, names_apart
 
 #: The delimiters that part values.
 DELIMITERS = (";", ",", "/", "|", "=", "\t", "\n", "\r", "•", "、", "；", "，")
@@ -173,9 +173,9 @@ def unpack(
     name clashes with an output gets the suffix ``_in``. Narrow: no shuffle.
     """
     names = names_apart(keep, [value, pos])
-    fields = {f.name: f.dataType for f in df.schema.fields}
+    fields = kinds(df, keep)
     schema = T.StructType([T.StructField(names[k], fields[k]) for k in keep] + [T.StructField(pos, T.IntegerType()), T.StructField(value, T.StringType())])
-    source = df.select(*[quoted(k) for k in keep], quoted(column).cast("string"))
+    source = inputs(df, keep, [column])
     marks, width = tuple(delimiters), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

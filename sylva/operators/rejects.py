@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylva.functions import buffers as B
-from sylva.tables import names_apart, quoted
+from sylva.tables import inputs, kinds, names_apart
 
 
 @dataclass(frozen=True)
@@ -202,11 +202,11 @@ def parse_lines(df: DataFrame, column: str, keep: Sequence[str], fields: Sequenc
     """Every line with its typed fields, or with ``reason`` set and the fields null. No shuffle."""
     produced = [reason, *[f.name for f in fields]]
     names = names_apart(keep, produced)
-    types = {f.name: f.dataType for f in df.schema.fields}
+    types = kinds(df, keep)
     schema = T.StructType(
         [T.StructField(names[k], types[k]) for k in keep] + [T.StructField(reason, T.StringType())] + [T.StructField(f.name, f.spark_type()) for f in fields]
     )
-    source = df.select(*[quoted(k) for k in keep], quoted(column).cast("string"))
+    source = inputs(df, keep, [column])
     width, spec = len(keep), tuple(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sylva.tables import names_apart, quoted
+from sylva.tables import inputs, kinds, names_apart
 
 
 @dataclass(eq=False)
@@ -171,12 +171,12 @@ def shred(df: DataFrame, column: str, keep: Sequence[str], root: Node | None = N
     root = root or treatment_schema()
     produced = ["taxon_no", "node", "parent_no", "node_no", "node_class", *(["node_text"] if text else [])]
     names = names_apart(keep, produced)
-    types = {f.name: f.dataType for f in df.schema.fields}
+    types = kinds(df, keep)
     schema = T.StructType(
         [T.StructField(names[k], types[k]) for k in keep]
         + [T.StructField(n, T.IntegerType() if n.endswith("_no") else T.StringType()) for n in produced]
     )
-    source = df.select(*[quoted(k) for k in keep], quoted(column).cast("string"))
+    source = inputs(df, keep, [column])
     width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

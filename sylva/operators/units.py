@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sylva.tables import names_apart, quoted
+from sylva.tables import inputs, kinds, names_apart
 
 
 @dataclass(frozen=True)
@@ -221,12 +221,12 @@ def quantities(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> Da
     ``measure`` and ``base_value`` (µm or µg). Narrow: no shuffle."""
     produced = ["field", "num_start", "measure", "base_value"]
     names = names_apart(keep, produced)
-    types = {f.name: f.dataType for f in df.schema.fields}
+    types = kinds(df, keep)
     schema = T.StructType(
         [T.StructField(names[k], types[k]) for k in keep]
         + [T.StructField("field", T.StringType()), T.StructField("num_start", T.IntegerType()), T.StructField("measure", T.StringType()), T.StructField("base_value", T.LongType())]
     )
-    source = df.select(*[quoted(k) for k in keep], *[quoted(c).cast("string").alias(f"_text{i}") for i, c in enumerate(columns)])
+    source = inputs(df, keep, columns)
     width, fields = len(keep), tuple(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,19 +6,50 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def position(df: DataFrame, name: str) -> int:
+    """The place of a column: by exact name, else ignoring case; the first of several."""
+    names = df.columns
+    for i, c in enumerate(names):
+        if c == name:
+            return i
+    for i, c in enumerate(names):
+        if c.lower() == name.lower():
+            return i
+    raise KeyError(f"no column {name!r} among {names}")
+
+
+def pick(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Just these columns, whatever other columns there are and however their names clash."""
+    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return flat.select(*[F.col(f"_{position(df, n)}").alias(n) for n in names])
+
+
+def inputs(df: DataFrame, keep: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """The kept columns as ``k0, k1, ...`` and the texts as strings ``t0, t1, ...``."""
+    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    kept = [F.col(f"_{position(df, n)}").alias(f"k{i}") for i, n in enumerate(keep)]
+    return flat.select(*kept, *[F.col(f"_{position(df, n)}").cast("string").alias(f"t{i}") for i, n in enumerate(texts)])
+
+
+def kinds(df: DataFrame, keep: Sequence[str]) -> dict[str, T.DataType]:
+    """The types of the kept columns."""
+    return {n: df.schema.fields[position(df, n)].dataType for n in keep}
+
+
 def once(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """One row per ``key`` (deliveries repeated under one key hold the same content).
 
     Partial aggregation runs before the shuffle, so a key that holds a large
     part of all rows reaches its reducer as one row per map task.
     """
-    return df.select(key, *[c for c in columns if c != key]).dropDuplicates([key])
+    return pick(df, [key, *[c for c in columns if c != key]]).dropDuplicates([key])
 
 
 def names_apart(kept: Iterable[str], produced: Iterable[str]) -> dict[str, str]:
