@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.session import cut
+from sylva.tables import inputs, pick
 
 #: Connecting words that carry no meaning of their own, and abbreviations no rule gives.
 STOP = frozenset("of the a an in for and".split())
@@ -197,6 +198,7 @@ def _tokenised(df: DataFrame, column: str, out: str) -> DataFrame:
 def reference_entries(terms: DataFrame) -> DataFrame:
     """(entry, goal): each name and synonym with the term it leads to; null for a term without replacement."""
     goal = F.when(F.coalesce(F.col("is_obsolete"), F.lit(False)), F.col("replaced_by")).otherwise(F.col("term_id"))
+    terms = pick(terms, ["term_id", "name", "synonyms", "is_obsolete", "replaced_by"])
     texts = F.concat(F.array("name"), F.coalesce(F.col("synonyms"), F.array().cast("array<string>")))
     return terms.select(F.explode(texts).alias("entry"), goal.alias("goal")).filter(F.trim("entry") != "").distinct()
 
@@ -207,7 +209,8 @@ def map_to_list(values: DataFrame, column: str, entries: DataFrame, threshold: f
     ``entries``: columns ``entry`` and ``goal``. ``threshold``: least soft TF-IDF; ``margin``: how far below a token's best
     similarity other repairs of it stay in play.
     """
-    v = values.select(F.col(column).cast("string").alias("value")).filter(F.trim(F.regexp_replace("value", "\\s+", " ")) != "").distinct()
+    entries = pick(entries, ["entry", "goal"])
+    v = inputs(values, [], [column]).select(F.col("t0").alias("value")).filter(F.trim(F.regexp_replace("value", "\\s+", " ")) != "").distinct()
     everything = cut(_tokenised(v, "value", "toks"))  # read four times below
     typed = everything.filter(F.size("toks") > 0)
     refs = _tokenised(entries.select("entry").distinct(), "entry", "etoks").filter(F.size("etoks") > 0)

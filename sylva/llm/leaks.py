@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylva.tables import quoted
+from sylva.tables import inputs, kinds
 
 _WORDS = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -113,12 +113,12 @@ def find_leaks(
     item_text: str = "text", span: int = 12, k: int = 5, block_chars: int = 16_000_000,
 ) -> DataFrame:
     """(doc_id, item_id) for each document that holds a passage of an item. No shuffle."""
-    given = items.select(quoted(item_id).cast("bigint").alias("item"), quoted(item_text).cast("string").alias("words"))
+    given = inputs(items, [item_id], [item_text]).select(F.col("k0").cast("bigint").alias("item"), F.col("t0").alias("words"))
     size = given.agg(F.sum(F.length("words"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_chars))
-    kind = documents.schema[doc_id].dataType
+    kind = kinds(documents, [doc_id])[doc_id]
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("item_id", T.LongType())])
-    source = documents.select(quoted(doc_id), quoted(text).cast("string")).filter(F.col(f"`{text}`").isNotNull())
+    source = inputs(documents, [doc_id], [text]).filter("t0 is not null")
     spark = documents.sparkSession
 
     def against(block: list[tuple[int, str | None]]) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylva.session import cut
+from sylva.tables import pick
 
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -69,6 +70,7 @@ def count_tokens(df: DataFrame, text: str, keep: list[str], tokenizer: str) -> D
 
 def _usable(documents: DataFrame, targets: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, source, n_tokens): one document per distinct text of the wanted sources."""
+    documents, targets = pick(documents, ["doc_id", "source", "text"]), pick(targets, ["source", "target_share", "max_repeats"])
     wanted = targets.select(source_key(F.col("source")).alias("key"), F.col("source").alias("name")).groupBy("key").agg(F.min("name").alias("name"))
     rows = documents.select("doc_id", source_key(F.col("source")).alias("key"), F.col("text").cast("string").alias("text"))
     rows = rows.join(wanted, "key").select("doc_id", F.col("name").alias("source"), "text", F.sha2("text", 256).alias("digest"))
@@ -82,7 +84,7 @@ class Plan:
     def __init__(self, documents: DataFrame, targets: DataFrame, tokenizer: str | None = None, total_tokens: int | None = None, slope: float = 0.8) -> None:
         self.docs = cut(_usable(documents, targets, tokenizer or default_tokenizer()))
         have = {r["source"]: (r["n"], r["tokens"]) for r in self.docs.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect()}
-        given = targets.groupBy("source").agg(F.first("target_share").alias("s"), F.first("max_repeats").alias("m")).orderBy("source").collect()
+        given = pick(targets, ["source", "target_share", "max_repeats"]).groupBy("source").agg(F.first("target_share").alias("s"), F.first("max_repeats").alias("m")).orderBy("source").collect()
         shares = {r["source"]: float(r["s"] or 0.0) for r in given}
         caps = {r["source"]: int(r["m"] or 0) for r in given}
         room = {s: have.get(s, (0, 0))[1] * caps[s] for s in shares}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sylva.tables import names_apart, quoted
+from sylva.tables import inputs, kinds, names_apart
 
 #: Legacy encodings that texts get decoded with by mistake, likeliest first.
 LEGACY = ("cp1252", "cp1250", "mac_roman", "cp437", "cp1251", "cp850", "koi8_r", "cp1254", "iso8859_2", "cp866", "mac_cyrillic", "cp1253", "iso8859_15")
@@ -260,10 +260,9 @@ def restore(df: DataFrame, column: str, keep: Sequence[str], restored: str = "re
     with ``md5`` the MD5 of its UTF-8 bytes ('' if lost). Narrow: no shuffle."""
     out = md5 or restored
     names = names_apart(keep, [out])
-    types = {f.name: f.dataType for f in df.schema.fields}
+    types = kinds(df, keep)
     schema = T.StructType([T.StructField(names[k], types[k]) for k in keep] + [T.StructField(out, T.StringType())])
-    source = df.select(*[quoted(k) for k in keep], quoted(column).cast("string").alias("_text"))
-    source = source.filter(source["_text"].rlike("[^\\x00-\\x7F]"))
+    source = inputs(df, keep, [column]).filter("t0 rlike '[^\\\\x00-\\\\x7F]'")
     width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylva.tables import names_apart, quoted
+from sylva.tables import inputs, kinds, names_apart
 
 SLOTS = 1 << 15
 
@@ -351,9 +351,9 @@ def train(df: DataFrame, columns: Sequence[str], key: str, sample_texts: int = 4
     """The model for the texts of ``df``; reads a bounded sample of rows chosen by the hash of ``key``."""
     total = df.count()
     rate = min(1.0, 1.1 * sample_texts / max(total, 1))
-    part = (F.xxhash64(quoted(key)).cast("double") / F.lit(2.0**63) + 1) / 2
-    texts = df.filter(part < rate).select(*[quoted(c).cast("string").alias(f"t{i}") for i, c in enumerate(columns)], part.alias("h"))
-    texts = texts.orderBy("h").limit(sample_texts).drop("h")
+    part = (F.xxhash64("k0").cast("double") / F.lit(2.0**63) + 1) / 2
+    texts = inputs(df, [key], columns).withColumn("h", part).filter(F.col("h") < rate)
+    texts = texts.orderBy("h").limit(sample_texts).drop("h", "k0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,14 +376,14 @@ def sentences(df: DataFrame, columns: Sequence[str], keep: Sequence[str], model:
     sent_end`` (and the sentence itself as ``text``, if a name is given). Narrow: no shuffle."""
     produced = ["field", "sent_no", "sent_start", "sent_end", *([text] if text else [])]
     names = names_apart(keep, produced)
-    types = {f.name: f.dataType for f in df.schema.fields}
+    types = kinds(df, keep)
     schema = T.StructType(
         [T.StructField(names[k], types[k]) for k in keep]
         + [T.StructField("field", T.StringType())]
         + [T.StructField(n, T.IntegerType()) for n in produced[1:4]]
         + ([T.StructField(text, T.StringType())] if text else [])
     )
-    source = df.select(*[quoted(k) for k in keep], *[quoted(c).cast("string").alias(f"_text{i}") for i, c in enumerate(columns)])
+    source = inputs(df, keep, columns)
     width, fields = len(keep), tuple(columns)
     weights = df.sparkSession.sparkContext.broadcast(model.weights.astype(np.float32))  # SLOTS floats, whatever the input
 

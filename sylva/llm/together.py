@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.tables import pick
+
 
 def baskets_of_terms(records: DataFrame, text: str, terms: DataFrame, keep: list[str], max_terms: int = 20_000) -> DataFrame:
     """``keep`` and ``items``: the sorted ids of the terms that stand in the text, in any
@@ -34,12 +36,12 @@ def baskets_of_terms(records: DataFrame, text: str, terms: DataFrame, keep: list
     names overlap. ``terms``: ``term_id``, ``name``; a list of more than
     ``max_terms`` is refused.
     """
-    named = terms.select("term_id", F.lower(F.trim("name")).alias("name")).filter(F.col("name") != "").distinct()
+    named = pick(terms, ["term_id", "name"]).select("term_id", F.lower(F.trim("name")).alias("name")).filter(F.col("name") != "").distinct()
     listed = named.limit(max_terms + 1).collect()
     if len(listed) > max_terms:
         raise ValueError(f"more than {max_terms} terms; raise max_terms if the executors can hold them")
     if not listed:
-        return records.select(*keep, F.array().cast("array<string>").alias("items"))
+        return pick(records, keep or [text]).select(*keep, F.array().cast("array<string>").alias("items"))
     special = set("\\.[]{}()*+-?^$|&#")
     names = sorted({r["name"] for r in listed}, key=lambda n: (-len(n), n))
     pattern = "(?<!\\p{L})(?=(" + "|".join("".join("\\" + c if c in special else c for c in n) for n in names) + ")(?!\\p{L}))"
@@ -48,12 +50,12 @@ def baskets_of_terms(records: DataFrame, text: str, terms: DataFrame, keep: list
         ids.setdefault(r["name"], []).append(r["term_id"])
     lookup = F.create_map(*[x for n in names for x in (F.lit(n), F.array(*[F.lit(i) for i in sorted(ids[n])]))])
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(1)))
-    return records.select(*keep, F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda n: lookup[n])))).alias("items"))
+    return pick(records, [*keep, *([] if text in keep else [text])]).select(*keep, F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda n: lookup[n])))).alias("items"))
 
 
 def distinct_records(sentences: DataFrame, parts: list[str]) -> DataFrame:
     """One row per distinct combination of ``parts`` (null is a value of its own)."""
-    return sentences.select(*parts).dropDuplicates()
+    return pick(sentences, parts).dropDuplicates()
 
 
 def pair_counts(baskets: DataFrame, items: str = "items") -> DataFrame:
