@@ -166,7 +166,8 @@ def shred(df: DataFrame, column: str, keep: Sequence[str], root: Node | None = N
 
     ``taxon_no`` numbers the outermost repeated element of the record;
     ``node_no`` counts within the outermost element for tables that have no table
-    above them, else within the parent row. Narrow: no shuffle.
+    above them, else within the parent row. ``node_text`` is the text of an element
+    outside its listed children. Narrow: no shuffle.
     """
     root = root or treatment_schema()
     produced = ["taxon_no", "node", "parent_no", "node_no", "node_class", *(["node_text"] if text else [])]

@@ -32,7 +32,7 @@ def obo_terms(spark: SparkSession, path: str) -> DataFrame:
         _one("name").alias("name"),
         _tag("synonym", '[^"\\n]*"(.*)"[^"\\n]*').alias("synonyms"),
         _tag("xref", '[^"\\n]*"(.*)"[^"\\n]*').alias("xrefs"),
-        F.transform(_tag("is_a", "([^!\\n]*?) *!.*"), F.trim).alias("is_a"),
+        F.transform(_tag("is_a", "([^!\\n]*?) *!.*"), lambda p: F.trim(p)).alias("is_a"),
         F.transform(_tag("subset"), lambda s: F.trim(F.regexp_replace(s, "[ {].*", ""))).alias("subsets"),
         F.col("stanza").rlike("(?m)^is_obsolete: *true").alias("is_obsolete"),
         _one("replaced_by").alias("replaced_by"),
@@ -121,7 +121,7 @@ def term_table(spark: SparkSession, path: str) -> DataFrame:
     """(id, label, definition, synonyms) of tab-separated term tables whose records may hold line breaks."""
     raw = spark.read.text(path, wholetext=True)
     records = F.split("value", "(?:^|\\r?\\n)(?=[A-Z]+:[0-9]+\\t)")
-    rows = raw.select(F.explode(records).alias("r")).filter(F.trim("r") != "").select(F.split("r", "\t").alias("p"))
+    rows = raw.select(F.explode(records).alias("r")).filter(F.trim("r") != "").select(F.split(F.regexp_replace("r", "\\s+$", ""), "\t").alias("p"))
     get = lambda i: F.trim(F.get("p", F.lit(i)))
     return rows.select(get(0).alias("id"), get(1).alias("label"), get(2).alias("definition"), F.filter(F.split(F.coalesce(get(3), F.lit("")), " *; *"), lambda x: x != "").alias("synonyms"))
 
