@@ -69,10 +69,11 @@ _HIGH_WORDS = {
 _ODD = re.compile(
     "(?P<lead>[ÂÃÄÅÆÇÈÉÊËÎÏÐÑâãäåæçèéïĂÐĐŃ][\u00a0-¿ŒœŠšŸŽžƒˆ˜–-›€™‡†…‰ˇ˘˙˛˝ŁłĄąĽľŚśŤťŹźŻżŞş])"
     "|(?P<mac>√[^\\s\\d]|‚Ä.|¬[^\\s\\w]|[ΓΣΘΦτσπµ][ÇÉæåâäàçêëèïîìÄÅôöòûùÿÖÜ¢£¥ƒáíóúñÑªº¿⌐¬½¼¡«»░-▓│-▟])"
+    "|(?P<dash>[–—][†∞±≤≥µ∂∑∏π∫ªºΩæø¿¡¬√ƒ≈∆«»…ÅÇÉÑÖÜáàâäãåçéèêëíìîïñóòôöõúùûü])"
     "|(?P<inword>(?<=[^\\W\\d_])[¡-¶¸-¿×÷†‡‰‹›€™Œ](?=[^\\W\\d_]))"
     "|(?P<case>(?<=[a-zß-öø-ÿ])[À-ÖØ-ÞĂĐŃ](?=[^A-Z\\s]))"
 )
-_COST = {"lead": 1.5, "mac": 1.5, "inword": 1.5, "case": 1.0}
+_COST = {"dash": 1.0, "lead": 1.5, "mac": 1.5, "inword": 1.5, "case": 1.0}
 _HIGH = re.compile("[^\\x00-\\x7f]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _LONG_HIGH = re.compile("[^\\W\\x00-\\x7f\\d_]{3,}")

@@ -53,8 +53,8 @@ _SEED = (
     "Leaves are ovate. | Flowers white, cf. Genus species. | It was seen by A. B. Smith at St. Anne, No. 12, in Sept. 1950. | Is it rare? | Yes! | Fruits 3 cm long, ca. 5 mm wide. | It bears cones etc. | Seeds are small.",
     "Les feuilles sont ovales. | Fleurs blanches, p. ex. Genus species, c.-à-d. rares. | Récolté par A. Petit, n° 12, en janv. 1950. | Est-il rare ? | Fruits de 3 cm de diam. | Graines petites.",
     "Die Blätter sind eiförmig. | Blüten weiß, vgl. Genus species. | Gesammelt von A. Klein am 3. Okt. 1950 bei Bern. | Ist sie selten? | Früchte 3 cm im Durchm. | Samen klein.",
-    "叶片卵形。 | 花白色！ | 是否同属？ | 果实小。",
-    "葉は卵形。 | 花は白い． | 同じか？ | 種子は小さい。",
+    "叶片卵形。 | 花白色！ | 是否同属？ | 标签写道：“花白。叶大。”，无日期。 | 果实小。",
+    "葉は卵形。 | 花は白い． | 同じか？ | 札には「花は白い。葉は大きい。」とある。 | 種子は小さい。",
     "पत्तियाँ अंडाकार हैं। | फूल सफेद हैं ॥ | क्या यह डॉ. क. की जाति है? | बीज छोटे हैं।",
 )
 
