@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sylva.operators.matching import phrase_hits
 from sylva.operators.ranking import phrase_idf, phrase_scores, text_lengths, top_k
+from sylva.session import cut
 
 
 def pairs(matches: DataFrame, key: str, left: str = "entity", right: str = "quality") -> DataFrame:
@@ -23,7 +24,7 @@ def pairs(matches: DataFrame, key: str, left: str = "entity", right: str = "qual
 
 def scored_pairs(df: DataFrame, key: str, text: str, phrases: DataFrame, k: int = 1000) -> DataFrame:
     """``key, e_name, e_id, q_name, q_id, score``: the ``k`` best units of each pair."""
-    hits = phrase_hits(df, [key], text, phrases)
+    hits = cut(phrase_hits(df, [key], text, phrases))  # read twice
     parts = phrase_scores(hits, key, phrase_idf(df, text, phrases), text_lengths(df, key, text)).select(key, "name", "part")
     named = hits.select(key, "name", "id", "kind").distinct().join(parts, [key, "name"])
     e = named.filter(F.col("kind") == "entity").select(key, F.col("name").alias("e_name"), F.col("id").alias("e_id"), F.col("part").alias("e_part"))

@@ -20,9 +20,16 @@ def token_rows(df: DataFrame, key: list[str], text: str) -> DataFrame:
 
 
 def phrase_hits(df: DataFrame, key: list[str], text: str, phrases: DataFrame) -> DataFrame:
-    """``key, pos, n, name, id, kind``: every place where a phrase stands, overlaps included."""
-    placed = df.select(*key, tokens(F.col(text)).alias("_all")).select(*key, "_all", F.posexplode("_all").alias("pos", "first"))
-    hit = placed.join(phrases, "first").filter(F.slice("_all", F.col("pos") + 1, F.col("n")) == F.col("phrase"))
+    """``key, pos, n, name, id, kind``: every place where a phrase stands, overlaps included.
+
+    Each token carries only as many following tokens as the longest phrase has, so
+    the rows of a long text stay small.
+    """
+    longest = phrases.agg(F.max("n")).first()[0] or 1
+    listed = df.select(*key, tokens(F.col(text)).alias("_all"))
+    ahead = F.transform("_all", lambda t, i: F.struct(t.alias("first"), F.slice("_all", i + 1, longest).alias("ahead")))
+    placed = listed.select(*key, F.posexplode(ahead).alias("pos", "_w")).select(*key, "pos", "_w.first", "_w.ahead")
+    hit = placed.join(phrases, "first").filter(F.slice("ahead", F.lit(1), F.col("n")) == F.col("phrase"))
     return hit.select(*key, "pos", "n", "name", "id", "kind")
 
 

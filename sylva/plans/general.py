@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.operators import packed, rejects, shred, units
-from sylva.tables import once, table
+from sylva.tables import once, spread, table
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,14 +29,15 @@ def p3_loaded(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every number that states a length or a mass, in µm or µg."""
-    rows = once(table(spark, folder, "accounts"), "account_id", ["description", "habitat"])
-    return units.quantities(rows, ["description", "habitat"], ["account_id"])
+    raw = table(spark, folder, "accounts")
+    rows = once(raw, "account_id", ["description", "habitat"])
+    return units.quantities(spread(rows, raw), ["description", "habitat"], ["account_id"])
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of nom, name, feature and char with the links to their parents."""
-    rows = once(table(spark, folder, "treatments"), "treatment_id", ["body"])
-    return shred.shred(rows, "body", ["treatment_id"])
+    raw = table(spark, folder, "treatments")
+    return shred.shred(spread(once(raw, "treatment_id", ["body"]), raw), "body", ["treatment_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions import text as X
 from sylva.operators import cooccur, gazetteer, graph, matching, ranking
-from sylva.tables import table
+from sylva.tables import spread, table
 
 #: Phrases that overlap, for leftmost-longest matching.
 OVERLAPPING = ("at", "at the", "the base", "at the base", "the apex", "obtuse at the apex", "obtuse at", "cordate at the base", "white to cream", "to cream", "recurved with age", "with age", "known from two gatherings", "from two")
@@ -20,7 +20,7 @@ LEXICON = (("leaf", "feuille"), ("leaf blade", "limbe"), ("petal", "pétale"), (
 
 
 def described(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "sentences").filter(F.col("description").isNotNull()).select("sent_id", "taxon", "description")
+    return spread(table(spark, folder, "sentences")).filter(F.col("description").isNotNull()).select("sent_id", "taxon", "description")
 
 
 def term_gazetteer(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,7 +101,7 @@ def measurements(spark: SparkSession, folder: str) -> DataFrame:
 
 def dict_longest_match(spark: SparkSession, folder: str) -> DataFrame:
     """Leftmost-longest matches of overlapping phrases in the documents."""
-    d = table(spark, folder, "documents").select("doc_id", "text")
+    d = spread(table(spark, folder, "documents").select("doc_id", "text"))
     gaz = spark.createDataFrame([(n, n, "phrase") for n in OVERLAPPING], "name string, id string, kind string")
     m = matching.dictionary_match(d, ["doc_id"], "text", gazetteer.dictionary(gaz, 2))
     return m.select("doc_id", "pos", "n", "name")

@@ -52,6 +52,17 @@ def once(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return pick(df, [key, *[c for c in columns if c != key]]).dropDuplicates([key])
 
 
+def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Rows dealt out to all cores ahead of costly work per row, where the source has fewer splits than there are cores.
+
+    A source that small is cheap to shuffle; larger ones have splits enough and are
+    left alone. ``source``: the plain scan to judge by, if ``df`` isn't one.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = (source if source is not None else df).rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def names_apart(kept: Iterable[str], produced: Iterable[str]) -> dict[str, str]:
     """New names for kept input columns; one that clashes with an output column
     (in any letter case) gets the suffix ``_in``, repeated as often as needed."""
