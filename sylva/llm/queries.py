@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm import canon, leaks, mixing, mojibake, sentences, together
 from sylva.session import cut
-from sylva.tables import once, table
+from sylva.tables import once, spread, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     raw = table(spark, folder, "accounts")
     columns = ["description", "habitat"]
     model = sentences.train(raw, columns, "account_id")
-    return sentences.sentences(once(raw, "account_id", columns), columns, ["account_id"], model)
+    return sentences.sentences(spread(once(raw, "account_id", columns), raw), columns, ["account_id"], model)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,7 +28,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _baskets(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "sentences").filter(F.col("description").isNotNull())
+    rows = spread(table(spark, folder, "sentences").select("taxon", "description")).filter(F.col("description").isNotNull())
     records = together.distinct_records(rows, ["taxon", "description"])
     return together.baskets_of_terms(records, "description", table(spark, folder, "term_list"), [])
 
@@ -51,30 +51,30 @@ def p7_surprise(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold twelve or more consecutive words of a test item."""
-    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leaks.find_leaks(spread(table(spark, folder, "documents").select("doc_id", "text")), table(spark, folder, "eval_items"))
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The chosen documents with their repeat counts."""
-    plan = mixing.Plan(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    plan = mixing.Plan(spread(table(spark, folder, "documents").select("doc_id", "source", "text")), table(spark, folder, "mix_targets"))
     return plan.chosen().select("doc_id", "source", "n_tokens", "repeats")
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of every source."""
-    plan = mixing.Plan(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    plan = mixing.Plan(spread(table(spark, folder, "documents").select("doc_id", "source", "text")), table(spark, folder, "mix_targets"))
     return plan.report(plan.chosen())
 
 
 def p9_order(spark: SparkSession, folder: str) -> DataFrame:
     """Every use of a chosen document at its training position."""
-    plan = mixing.Plan(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    plan = mixing.Plan(spread(table(spark, folder, "documents").select("doc_id", "source", "text")), table(spark, folder, "mix_targets"))
     return plan.schedule(plan.chosen())
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold wrongly decoded text, with the MD5 of the restored text."""
-    return mojibake.restore(table(spark, folder, "documents"), "text", ["doc_id"], md5="restored_md5")
+    return mojibake.restore(spread(table(spark, folder, "documents").select("doc_id", "text")), "text", ["doc_id"], md5="restored_md5")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
