@@ -217,7 +217,7 @@ def trips(text: str) -> Iterator[tuple[str, float, int]]:
         new, changed = _utf8_trip(text, enc)
         if changed and _clean_change(text, new):
             after = cost(new)
-            if before - after >= 0.5 * changed:
+            if before - after >= max(1.0, 0.2 * changed):
                 yield new, after, rank
     for rank, (intended, wrong) in enumerate(OTHER, len(LEGACY)):
         new, changed = _other_trip(text, intended, wrong)

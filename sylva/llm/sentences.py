@@ -159,6 +159,12 @@ def _candidate(t: str, mark_at: int, mark_end: int, end: int, begin: int, closer
     ws = "end" if last else "no" if not gap else "nl" if "\n" in gap or "\r" in gap else "2" if len(gap) > 1 else "1"
     p, n = _digits(prev.lower()), _digits(nxt.lower())
     pc, nc = _class(prev), "end" if last else _class(nxt)
+    if nxt and (nxt == "×" or nxt in ("X", "x")) and re.match(r"[Xx×]\s*[\d½¼¾(]", t[begin : begin + 6]):
+        nc = "times"  # a product goes on
+    elif nc == "init" and re.match(r"\w['’\s\u00a0]+[a-zà-ÿ]", t[begin : begin + 5]):
+        nc = "cap"  # a word of one letter, or an elided one
+    elif nxt in ("(", "[") and t[begin + 1 : begin + 2].isupper():
+        nc = "open"  # a bracket that may be a sentence of its own
     core = p.strip("·'’-")
     letter = len(core) == 1 and core.isalpha() and ord(core) < 0x2E80 and core not in _UNITS and not prev.isupper()
     opened = letter or core in _OPEN_ABBREVIATIONS or prev2.lower() + prev.lower() in ("p.ex", "z.b", "i.d", "c.-à-d")
@@ -176,6 +182,8 @@ def _candidate(t: str, mark_at: int, mark_end: int, end: int, begin: int, closer
     strong = bool(mark) and mark[-1] in "!?。．！？｡।॥؟۔"
     if nc == "low" or nc[0] == "p" and nxt in ",;:，；：、)-–=":
         label = 0
+    elif nc == "times":
+        label = 0
     elif closer in ("」", "”") and (nc == "kana" or nxt[:1] in "，、と"):
         label = 0
     elif strong or last and not opened and not initial:
@@ -186,9 +194,9 @@ def _candidate(t: str, mark_at: int, mark_end: int, end: int, begin: int, closer
         label = -1
     elif opened or initial or (pc == "num" and month):
         label = 0
-    elif closer and nc in ("cap", "init", "han", "caps") or own and nc in ("cap", "init"):
+    elif closer and nc in ("cap", "init", "han", "caps", "open") or own and nc in ("cap", "init", "open"):
         label = 1
-    elif nc in ("cap", "caps") and (spelt or (pc == "num" and ws != "no") or core in _UNITS):
+    elif nc in ("cap", "caps", "open") and (spelt or prev[-1:] in _CLOSERS or (pc == "num" and ws != "no") or core in _UNITS):
         label = 1
     elif nc == "num" and len(core) <= 4 and pc != "num":
         label = 0

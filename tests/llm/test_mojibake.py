@@ -33,7 +33,7 @@ def test_round_trip(text, encoding):
     assert M.repair(garble(text, encoding)) == (True, text)
 
 
-@pytest.mark.parametrize("text", [FRENCH, GERMAN])
+@pytest.mark.parametrize("text", [FRENCH, GERMAN, "Stipules ovate, 3–17 mm long.", "at 16 °C", "rare — “winged” styles", "Capsules 3 × 4 cm"])
 def test_two_layers(text):
     assert M.repair(garble(garble(text, "cp1252"), "cp1252")) == (True, text)
 
