@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -25,6 +27,19 @@ def view(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0], valid
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose strings hold at most ``most`` bytes; a longer row is a run of its own.
+
+    The masks over a buffer take many times its size, so their memory gets a bound.
+    """
+    _, off, _ = view(batch.column(column))
+    i, n = 0, len(off) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def gather(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.StringArray:
     """The substrings [start, end) of ``buf`` as one string array."""
     lens = ends - starts

@@ -179,7 +179,7 @@ def unpack(
     marks, width = tuple(delimiters), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in B.slices(whole, width)):
             lists = split_array(batch.column(width), marks)
             counts = np.asarray(pc.list_value_length(lists))
             if (counts < min_values).any():

@@ -210,7 +210,7 @@ def parse_lines(df: DataFrame, column: str, keep: Sequence[str], fields: Sequenc
     width, spec = len(keep), tuple(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in B.slices(whole, width)):
             why, cols = parse_batch(batch.column(width), spec)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(width)], pa.array([w or None for w in why], pa.string()), *cols], names=schema.fieldNames()

@@ -125,3 +125,16 @@ def test_pick_clashing_names(spark):
     assert tuple(pick(df, ["TEXT", "id"]).first()) == ("b", 1)
     assert once(df, "id", ["text"]).first()["text"] == "a"
     assert names_apart(["pos", "Pos_in"], ["pos"]) == {"pos": "pos_in", "Pos_in": "Pos_in_in"}
+
+
+def test_external_model(spark):
+    from pyspark.sql import types as T
+
+    from sylva.operators.external import apply_model
+
+    def load():
+        return lambda texts: [[(i, w) for i, w in enumerate((t or "").split())] for t in texts]
+
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc long, t string")
+    cols = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("word", T.StringType())])
+    assert rows(apply_model(df, "t", ["doc"], load, cols)) == [(1, 0, "a"), (1, 1, "b")]
