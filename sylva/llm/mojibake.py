@@ -77,6 +77,7 @@ _COST = {"dash": 1.0, "lead": 1.5, "mac": 1.5, "inword": 1.5, "case": 1.0}
 _HIGH = re.compile("[^\\x00-\\x7f]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _LONG_HIGH = re.compile("[^\\W\\x00-\\x7f\\d_]{3,}")
+_INNER_CAPITAL = re.compile("[Ѐ-ӿ][Ѐ-Я]")
 _LATIN_HIGH = re.compile("[À-ÖØ-öø-ÿ]{3,}")
 _FINE = frozenset("°×–—“”’‘„«»¿¡½¼¾±…•·§€©®™ªº\u00a0 œŒšŠžŽŸ²³µ÷")
 _RARE_CYRILLIC = frozenset("йхжшюцщэфъЙХЖШЮЦЩЭФЪ")
@@ -219,7 +220,11 @@ def trips(text: str) -> Iterator[tuple[str, float, int]]:
             after = cost(new)
             if before - after >= max(1.0, 0.2 * changed):
                 yield new, after, rank
+    # Words read as Western text are runs of accented letters; as Cyrillic they have capitals inside.
+    latin, cyrillic = _LATIN_HIGH.search(text) is not None, _INNER_CAPITAL.search(text) is not None
     for rank, (intended, wrong) in enumerate(OTHER, len(LEGACY)):
+        if not (latin if wrong == "cp1252" else cyrillic):
+            continue
         new, changed = _other_trip(text, intended, wrong)
         if changed >= 4:
             after = cost(new)
