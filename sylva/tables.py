@@ -44,12 +44,15 @@ def kinds(df: DataFrame, keep: Sequence[str]) -> dict[str, T.DataType]:
 
 
 def once(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """One row per ``key`` (deliveries repeated under one key hold the same content).
+    """One row per ``key`` (deliveries repeated under one key hold the same content);
+    rows without a key are told apart by their content.
 
     Partial aggregation runs before the shuffle, so a key that holds a large
     part of all rows reaches its reducer as one row per map task.
     """
-    return pick(df, [key, *[c for c in columns if c != key]]).dropDuplicates([key])
+    rest = [c for c in columns if c != key]
+    content = F.when(F.col(f"`{key}`").isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0))
+    return pick(df, [key, *rest]).withColumn("_content", content).dropDuplicates([key, "_content"]).drop("_content")
 
 
 def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:

@@ -124,6 +124,8 @@ def test_pick_clashing_names(spark):
     df = spark.createDataFrame([(1, "a", "b")], "id long, text string, other string").toDF("id", "text", "TEXT")
     assert tuple(pick(df, ["TEXT", "id"]).first()) == ("b", 1)
     assert once(df, "id", ["text"]).first()["text"] == "a"
+    none = spark.createDataFrame([(None, "a"), (None, "b"), (None, "a"), (1, "c"), (1, "c")], "id long, text string")
+    assert rows(once(none, "id", ["text"])) == [(1, "c"), (None, "a"), (None, "b")]
     assert names_apart(["pos", "Pos_in"], ["pos"]) == {"pos": "pos_in", "Pos_in": "Pos_in_in"}
 
 
