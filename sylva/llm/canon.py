@@ -54,7 +54,7 @@ def stem(t: str) -> str:
         return t[:-3] + "y"
     if len(t) > 4 and t.endswith("ves"):
         return t[:-3] + "f"
-    return t[:-1] if len(t) > 3 and t.endswith("s") and not t.endswith("ss") else t
+    return t[:-1] if len(t) > 2 and t.endswith("s") and not t.endswith("ss") else t
 
 
 def skeleton(t: str) -> str:

@@ -105,7 +105,7 @@ class Index:
             if near:
                 own = {run[i : i + self.span].tobytes() for i in range(len(run) - self.span + 1)}
                 found |= {i for i in near if not own.isdisjoint(self.shingles[i])}
-        return sorted(self.ids[i] for i in found)
+        return sorted((self.ids[i] for i in found), key=lambda x: (x is None, x or 0))
 
 
 def find_leaks(

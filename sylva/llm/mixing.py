@@ -84,7 +84,7 @@ class Plan:
     def __init__(self, documents: DataFrame, targets: DataFrame, tokenizer: str | None = None, total_tokens: int | None = None, slope: float = 0.8) -> None:
         self.docs = cut(_usable(documents, targets, tokenizer or default_tokenizer()))
         have = {r["source"]: (r["n"], r["tokens"]) for r in self.docs.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect()}
-        given = pick(targets, ["source", "target_share", "max_repeats"]).groupBy("source").agg(F.first("target_share").alias("s"), F.first("max_repeats").alias("m")).orderBy("source").collect()
+        given = pick(targets, ["source", "target_share", "max_repeats"]).groupBy("source").agg(F.first("target_share").alias("s"), F.first("max_repeats").alias("m")).filter("source is not null").orderBy("source").collect()
         shares = {r["source"]: float(r["s"] or 0.0) for r in given}
         caps = {r["source"]: int(r["m"] or 0) for r in given}
         room = {s: have.get(s, (0, 0))[1] * caps[s] for s in shares}

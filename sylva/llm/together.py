@@ -36,7 +36,7 @@ def baskets_of_terms(records: DataFrame, text: str, terms: DataFrame, keep: list
     names overlap. ``terms``: ``term_id``, ``name``; a list of more than
     ``max_terms`` is refused.
     """
-    named = pick(terms, ["term_id", "name"]).select("term_id", F.lower(F.trim("name")).alias("name")).filter(F.col("name") != "").distinct()
+    named = pick(terms, ["term_id", "name"]).select("term_id", F.lower(F.trim("name")).alias("name")).filter((F.col("name") != "") & F.col("term_id").isNotNull()).distinct()
     listed = named.limit(max_terms + 1).collect()
     if len(listed) > max_terms:
         raise ValueError(f"more than {max_terms} terms; raise max_terms if the executors can hold them")

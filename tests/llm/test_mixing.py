@@ -13,7 +13,7 @@ def tables(spark, n=400):
     rows = [(i, f"word{i} " * (5 + i % 7), "Big_Source " if i % 4 else " small source") for i in range(n)]
     rows += [(9001, rows[1][1], "big source"), (9002, "lost text", None), (9003, "other text", "unlisted"), (9004, None, "big source"), (9005, "", "big source")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("SHARE", F.lit(1))
-    targets = spark.createDataFrame([("big source", 0.4, 1), ("small_source", 0.5, 5), ("empty", 0.1, 2)], "source string, target_share double, max_repeats int")
+    targets = spark.createDataFrame([("big source", 0.4, 1), ("small_source", 0.5, 5), ("empty", 0.1, 2), (None, 0.1, 1), ("none", None, None)], "source string, target_share double, max_repeats int")
     return docs, targets
 
 
@@ -26,10 +26,9 @@ def test_shares_caps_and_copies(spark):
     assert max(r["repeats"] for r in got.values() if r["source"] == "big source") == 1
     assert max(r["repeats"] for r in got.values()) <= 5
     rep = {r["source"]: r for r in plan.report(chosen).collect()}
-    assert set(rep) == {"big source", "small_source", "empty"}
+    assert set(rep) == {"big source", "small_source", "empty", "none"}
     assert rep["small_source"]["actual_share"] / rep["big source"]["actual_share"] == pytest.approx(0.5 / 0.4, rel=0.02)
     assert rep["empty"]["actual_share"] == 0 and rep["empty"]["capped"]
-    assert sorted(map(tuple, chosen.select("doc_id", "repeats").collect())) == sorted(map(tuple, plan.chosen(block=100000).select("doc_id", "repeats").collect())) or True
 
 
 def test_larger_total_is_capped(spark):
@@ -37,7 +36,7 @@ def test_larger_total_is_capped(spark):
     plan = mixing.Plan(docs, targets, total_tokens=10**9)
     chosen = plan.chosen()
     assert {r["repeats"] for r in chosen.filter("source = 'small_source'").collect()} == {5}
-    assert all(r["capped"] for r in plan.report(chosen).collect())
+    assert all(r["capped"] for r in plan.report(chosen).collect() if r["target_share"] > 0)
 
 
 def test_positions_follow_schedule(spark):
@@ -59,7 +58,7 @@ def test_empty(spark):
     docs, targets = tables(spark, 8)
     plan = mixing.Plan(docs.limit(0), targets)
     assert plan.chosen().count() == 0 and plan.schedule(plan.chosen()).count() == 0
-    assert {r["actual_share"] for r in plan.report(plan.chosen()).collect()} == {0.0, None} - {None}
+    assert {r["actual_share"] for r in plan.report(plan.chosen()).collect()} == {0.0}
     none = mixing.Plan(docs, targets.limit(0))
     assert none.chosen().count() == 0 and none.report(none.chosen()).count() == 0
 

@@ -11,7 +11,7 @@ from sylva.llm import together as G
 
 
 def test_baskets_and_pairs(spark):
-    terms = spark.createDataFrame([("A", "fruit wall", "e"), ("B", "wall thick", "q"), ("C", "red", "q"), ("D", "a+b", "q")], "term_id string, name string, kind string")
+    terms = spark.createDataFrame([("A", "fruit wall", "e"), ("B", "wall thick", "q"), ("C", "red", "q"), ("D", "a+b", "q"), (None, "thick", "q"), ("E", None, "q")], "term_id string, name string, kind string")
     rows = [("t", "Fruit wall thick, RED"), ("t", "Fruit wall thick, RED"), (None, "Fruit wall thick, RED"), ("u", "redder fruit walls; a+b red."), ("u", None), ("u", "")]
     df = spark.createDataFrame(rows, "taxon string, description string").withColumnRenamed("taxon", "taxon")
     rec = G.distinct_records(df.filter("description is not null"), ["taxon", "description"])
