@@ -58,7 +58,8 @@ _SEED = (
     "पत्तियाँ अंडाकार हैं। | फूल सफेद हैं ॥ | क्या यह डॉ. क. की जाति है? | बीज छोटे हैं।",
 )
 
-_BLANK_LINE = re.compile(r"[ \t ]*(?:\r\n|\r|\n)[ \t ]*(?:\r\n|\r|\n)\s*| ")
+_LINE_END = "(?:\\r\\n|\\r(?!\\n)|(?<!\\r)\\n)"
+_BLANK_LINE = re.compile(f"[ \\t\u00a0]*{_LINE_END}[ \\t\u00a0]*{_LINE_END}\\s*|\u2029")
 _MARK = re.compile(r"[.!?…。．！？｡।॥؟۔]+")
 _THAI_BLANK = re.compile(r"(?<=[฀-๿.)\d])[ \t \r\n]+(?=[฀-๿\dA-Z(])")
 _SOLID = re.compile(r"\S")

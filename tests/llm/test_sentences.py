@@ -51,6 +51,12 @@ def test_blank_line_ends(model):
     assert cut(model, "Leaves 3 cm\r\n \r\nSeeds\nsmall.\n") == ["Leaves 3 cm", "Seeds\nsmall."]
 
 
+def test_one_line_break_of_any_kind_does_not_end(model):
+    for mark in ("\n", "\r\n", "\r"):
+        assert cut(model, f"Leaves{mark}ovate, 3 cm{mark}long.") == [f"Leaves{mark}ovate, 3 cm{mark}long."]
+        assert cut(model, f"Leaves 3 cm{mark}{mark}Seeds small") == ["Leaves 3 cm", "Seeds small"]
+
+
 def test_degenerate(model):
     for text in (None, "", "  \n ", " "):
         assert model.split(text) == []
