@@ -1,13 +1,26 @@
 from __future__ import annotations
 
+import os
+
+import pyarrow.parquet as pq
 import pytest
 
 from sylva.llm import sentences as S
 
 
+TABLE = "/root/testdata/sf0.01/accounts.parquet"
+pytestmark = pytest.mark.skipif(not os.path.isfile(TABLE), reason="test tables are not here")
+
+
+@pytest.fixture(scope="module")
+def texts():
+    t = pq.read_table(TABLE, columns=["description", "habitat"])
+    return [x for c in range(2) for x in t.column(c).to_pylist() if x]
+
+
 @pytest.fixture(scope="module")
-def model():
-    return S.fit(S.seed_rows())
+def model(texts):
+    return S.train_on(texts)
 
 
 def cut(model, text):
@@ -72,14 +85,81 @@ def test_places_cover_text(model):
     assert "".join(text[a:z] for a, z in spans).replace(" ", "") == text.replace(" ", "")
 
 
-def test_held_out_accuracy():
-    """Reliable boundaries of lines that weren't trained on."""
-    train = [t for i in range(1, 40) for t in S.reliable(f"Leaves {i} cm long. Bark thin, cf. Genus. Seen by A. Smith in Sept. 19{i + 10}. Is it rare? Seeds weigh 3.{i} mg.")]
-    m = S.fit([(f, y, 1) for f, y in train] + S.seed_rows())
-    held = [t for i in range(50, 80) for t in S.reliable(f"Bracts {i} mm wide. Twigs grey, cf. Otherus. Found by B. Jones in Oct. 18{i}. Fruits red! Stems 4.{i} m.")]
-    right = sum((m.score(f.split("\x01")) > 0) == bool(y) for f, y in held)
-    assert right / len(held) > 0.97
-    assert 0 < S.probability(m, held[0][0].split("\x01")) < 1
+#: Sentences written for this test, parted by " | ": other words, names and orders than in the tables.
+HELD_OUT = {
+    "en": "The stout trunk reaches 12.5 m. | Buds are hairy. | Described by J. K. Rowan from Mt. Eden in Aug. 1931! | Compare with var. alba (see Pl. 4). | Rare near St. Ives. | It has spines, hooks, etc. | Pods ca. 9 cm long. | Was it planted? | Local, cf. Quercus robur. | Pith solid. | Twigs 3 mm in diam. | Sap “bitter. Sticky” when cut. | Grows at 1,200 m. | Habit upright... | The end.",
+    "fr": "Le tronc atteint 12,5 m. | Bourgeons poilus. | Décrit par J. K. Ronsard en sept. 1931, n° 44. | Comparer avec la var. alba. | Rare près de St. Jean. | L'écorce est « amère. Collante » à la coupe. | Gousses d'env. 9 cm de long. | Est-il planté ? | Local, p. ex. sur sable, c.-à-d. rarement. | Moelle pleine.",
+    "de": "Der Stamm erreicht 12,5 m. | Knospen behaart. | Beschrieben von J. K. Rohde am 7. Sept. 1931 bei Ulm. | Vgl. die var. alba. | Selten bei St. Anton. | Hülsen ca. 9 cm lang. | Wurde er gepflanzt? | Die Rinde ist „bitter. Klebrig“ im Schnitt. | Örtlich, z. B. auf Sand. | Mark voll.",
+    "zh": "树干高12.5米。 | 芽有毛！ | 是栽培的吗？ | 标签写道：“树皮苦。粘。”，无日期。 | 荚果长9厘米。",
+    "ja": "幹は12.5メートルになる。 | 芽に毛がある． | 植えられたものか？ | 札には「樹皮は苦い。ねばる。」とある。 | さやは長さ9センチ。",
+    "hi": "तना 12.5 मीटर ऊँचा है। | कलियाँ रोमिल हैं ॥ | क्या यह डॉ. म. की जाति है? | फली 9 सेमी लंबी है।",
+    "th": "ลำต้นสูง 12.5 เมตร | ตามีขน | ฝักยาว 9 ซม. | เนื้อไม้แข็ง",
+}
+
+
+def _counts(split):
+    """{language: (right, all)} over the inner boundaries that are or should be."""
+    out = {}
+    for lang, line in HELD_OUT.items():
+        parts = line.split(" | ")
+        gap = "" if lang in ("zh", "ja") else " "
+        text, want, at = gap.join(parts), set(), 0
+        for part in parts[:-1]:
+            at += len(part)
+            want.add(at)
+            at += len(gap)
+        got = {z for _, z in split(text)} - {len(text)}
+        candidates = {c.end for lo, hi in S.paragraphs(text) for c in S._paragraph(text, lo, hi) if c.begin < hi} | want
+        out[lang] = (len(candidates) - len(want ^ got), len(candidates))
+    return out
+
+
+def _by_rules(ev):
+    """Labels alone: what isn't known reliably counts as a boundary."""
+
+    def split(text):
+        ends = [c.end for lo, hi in S.paragraphs(text) for c in S._paragraph(text, lo, hi) if S.described(c.seen, ev)[1] != 0]
+        return list(zip([0, *ends], [*ends, len(text)], strict=False))
+
+    return split
+
+
+def _share(counts):
+    return sum(a for a, _ in counts.values()) / sum(b for _, b in counts.values())
+
+
+def test_held_out_accuracy(model):
+    """Lines that neither the training texts nor the built-in lines hold."""
+    counts = _counts(model.split)
+    assert all(right / n >= 0.9 for right, n in counts.values()), counts
+    assert _share(counts) >= 0.95
+
+
+def test_model_decides(model, texts):
+    """The classifier settles what labels leave open, and not all of it alike: labels alone are worse."""
+    unknown = [model.ends(c) for t in texts for lo, hi in S.paragraphs(t) for c in S._paragraph(t, lo, hi) if c.begin < hi and S.described(c.seen, model.evidence)[1] < 0]
+    assert len(unknown) > 500 and 0.02 < sum(not x for x in unknown) / len(unknown) < 0.98
+    assert _share(_counts(_by_rules(model.evidence))) < _share(_counts(model.split))
+    assert 0 < S.probability(model, ["b"]) < 1
+
+
+def test_evidence_of_parts_adds_up(texts):
+    def table(parts):
+        out = {}
+        for p in parts:
+            places, counts = S.count_tokens(p)
+            for k, row in zip(places.tolist(), counts.tolist(), strict=True):
+                out[k] = [a + b for a, b in zip(out.get(k, [0] * S.KINDS), row, strict=True)]
+        return out
+
+    assert table([texts[:400]]) == table([texts[:150], texts[150:151], texts[151:400]])
+
+
+def test_no_word_lists_in_features(texts):
+    """The evidence alone tells abbreviations: an invented one is learnt from its use."""
+    made = [f"Seen by Zorb. Miller in town {i}. Bark thin. Leaves wide" + ("." if i % 2 else ", seen by Zorb. Hall. Sap red.") for i in range(300)]
+    m = S.train_on([*texts, *made])
+    assert cut(m, "Found by Zorb. Hall in town. Bark thin.") == ["Found by Zorb. Hall in town.", "Bark thin."]
 
 
 def test_operator(spark):
