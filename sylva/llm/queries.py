@@ -27,31 +27,32 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(mapped, rows["cclass"] == mapped["value"]).select("entry_id", F.col("goal").alias("term_id"))
 
 
-def _baskets(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spread(table(spark, folder, "sentences").select("taxon", "description")).filter(F.col("description").isNotNull())
-    records = together.distinct_records(rows, ["taxon", "description"])
-    return together.baskets_of_terms(records, "description", table(spark, folder, "term_list"), [])
+def _baskets(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """The non-empty baskets, and the number of records."""
+    rows = table(spark, folder, "sentences").select("taxon", "description").filter(F.col("description").isNotNull())
+    records = cut(together.distinct_records(rows, ["taxon", "description"]))
+    return cut(together.baskets_of_terms(records, "description", table(spark, folder, "term_list"))), records.count()
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of terms found together at least five times and three times as often as chance."""
-    t = together.lift_table(cut(_baskets(spark, folder)))
+    """Pairs of terms, scored against the null, that are found together at least five times and three times as often as chance."""
+    t = together.surprise(*_baskets(spark, folder))
     return t.filter((F.col("n_ab") >= 5) & (F.col("n_ab") * F.col("n") >= 3 * F.col("n_a") * F.col("n_b"))).select("term_a", "term_b")
 
 
 def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of terms found together, with the counts that lift needs."""
-    return together.lift_table(cut(_baskets(spark, folder)))
+    return together.lift_table(*_baskets(spark, folder))
 
 
 def p7_surprise(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair found together, against the configuration null."""
-    return together.surprise(cut(_baskets(spark, folder)))
+    return together.surprise(*_baskets(spark, folder))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold twelve or more consecutive words of a test item."""
-    return leaks.find_leaks(spread(table(spark, folder, "documents").select("doc_id", "text")), table(spark, folder, "eval_items"))
+    return leaks.find_leaks(spread(table(spark, folder, "documents").select("doc_id", "text")), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
