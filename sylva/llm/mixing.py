@@ -26,7 +26,7 @@ match ignoring case, outer blanks and blank against underscore.
 from __future__ import annotations
 
 import base64
-import importlib
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,8 +41,8 @@ from sylva.tables import pick
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def default_tokenizer() -> str:
-    return importlib.import_module("public_tokenizers").path("byte_bpe_50k.tiktoken")
+#: Where the vocabulary lies unless another path is given.
+DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def source_key(c: Column) -> Column:
@@ -54,15 +54,19 @@ def count_tokens(df: DataFrame, text: str, keep: list[str], tokenizer: str) -> D
     types = {f.name: f.dataType for f in df.schema.fields}
     schema = T.StructType([T.StructField(k, types[k]) for k in keep] + [T.StructField("n_tokens", T.LongType())])
     width = len(keep)
+    # The vocabulary goes to every executor with the job, so the path need only exist where the job is started.
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(tokenizer, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
-            n = [len(enc.encode_ordinary(t)) for t in batch.column(width).to_pylist()]
+            n = [len(t) for t in enc.encode_ordinary_batch(batch.column(width).to_pylist(), num_threads=1)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(width)], pa.array(n, pa.int64())], names=schema.fieldNames())
 
     return df.filter(F.length(text) > 0).select(*keep, text).mapInArrow(run, schema)
@@ -72,8 +76,9 @@ def _usable(documents: DataFrame, targets: DataFrame, tokenizer: str) -> DataFra
     """(doc_id, source, n_tokens): one document per distinct text of the wanted sources."""
     documents, targets = pick(documents, ["doc_id", "source", "text"]), pick(targets, ["source", "target_share", "max_repeats"])
     wanted = targets.select(source_key(F.col("source")).alias("key"), F.col("source").alias("name")).groupBy("key").agg(F.min("name").alias("name"))
-    rows = documents.select("doc_id", source_key(F.col("source")).alias("key"), F.col("text").cast("string").alias("text"))
+    rows = documents.select("doc_id", source_key(F.col("source")).alias("key"), F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
     rows = rows.join(wanted, "key").select("doc_id", F.col("name").alias("source"), "text", F.sha2("text", 256).alias("digest"))
+    # Copies are counted too: telling them apart first would move whole texts, this moves digests and counts.
     counted = count_tokens(rows, "text", ["doc_id", "source", "digest"], tokenizer)
     return counted.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("d")).select("d.*")
 
@@ -82,7 +87,7 @@ class Plan:
     """What each source is to give: computed from one row per source."""
 
     def __init__(self, documents: DataFrame, targets: DataFrame, tokenizer: str | None = None, total_tokens: int | None = None, slope: float = 0.8) -> None:
-        self.docs = cut(_usable(documents, targets, tokenizer or default_tokenizer()))
+        self.docs = cut(_usable(documents, targets, tokenizer or DEFAULT_TOKENIZER))
         have = {r["source"]: (r["n"], r["tokens"]) for r in self.docs.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect()}
         given = pick(targets, ["source", "target_share", "max_repeats"]).groupBy("source").agg(F.first("target_share").alias("s"), F.first("max_repeats").alias("m")).filter("source is not null").orderBy("source").collect()
         shares = {r["source"]: float(r["s"] or 0.0) for r in given}
@@ -99,18 +104,26 @@ class Plan:
             use = min(shares[s] * self.total, room[s])
             self.sources.append({
                 "source": s, "share": shares[s], "cap": caps[s], "n": n, "tokens": tokens, "use": use,
-                "epochs": int(use // tokens) if tokens else 0, "rest": use - (use // tokens) * tokens if tokens else 0.0,
                 "ramp": slope * (mean - shares[s]) / reach,
             })
 
+    @staticmethod
+    def demand(p: dict, t: float) -> float:
+        """Tokens a source has to have given at time t: the integral of its weight schedule."""
+        return p["use"] * (t + p["ramp"] * (t * t - t))
+
     def chosen(self, block: int = 50_000) -> DataFrame:
-        """(doc_id, source, n_tokens, repeats, mid, tokens_before): the used documents; ``mid`` is the
-        place of a document's middle among the tokens of its source, in hash order."""
+        """(doc_id, source, n_tokens, repeats, mid): the used documents; ``mid`` is the place of a
+        document's middle among the tokens of its source, in hash order.
+
+        A use of a document has a training position where the demand reaches its tokens; it is chosen if
+        that is within [0, 1], that is, if the demand at the end of training lies beyond them.
+        """
         spark = self.docs.sparkSession
         # One row per listed source: a table of the size of the target list.
         table = spark.createDataFrame(
-            [(p["source"], max(1, -(-p["n"] // block)), p["epochs"], float(p["rest"]), int(p["cap"])) for p in self.sources],
-            "source string, blocks long, epochs long, rest double, cap long",
+            [(p["source"], max(1, -(-p["n"] // block)), float(p["tokens"]), float(self.demand(p, 1.0)), int(p["cap"])) for p in self.sources],
+            "source string, blocks long, all_tokens double, wanted double, cap long",
         )
         h = F.xxhash64("doc_id", F.lit(17))
         rows = self.docs.join(F.broadcast(table), "source").withColumn("h", h).withColumn("block", F.pmod(F.shiftrightunsigned("h", 20), F.col("blocks")))
@@ -119,7 +132,7 @@ class Plan:
         inside = Window.partitionBy("source", "block").orderBy("h", "doc_id")
         placed = rows.withColumn("upto", F.sum("n_tokens").over(inside)).join(before, ["source", "block"])
         mid = F.col("before") + F.col("upto") - F.col("n_tokens") / 2
-        repeats = F.least(F.col("epochs") + F.when(mid < F.col("rest"), 1).otherwise(0), F.col("cap"))
+        repeats = F.least(F.ceil((F.col("wanted") - mid) / F.col("all_tokens")), F.col("cap"))
         return placed.select("doc_id", "source", "n_tokens", repeats.cast("int").alias("repeats"), mid.cast("double").alias("mid")).filter("repeats > 0")
 
     def report(self, chosen: DataFrame) -> DataFrame:
