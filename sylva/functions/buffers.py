@@ -49,12 +49,15 @@ def gather(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.StringAr
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(new.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf[idx])))
 
 
-def triple(buf: np.ndarray, char: str) -> np.ndarray:
-    """Mask of the first byte of each occurrence of a three-byte character."""
-    a, b, c = char.encode()
+def places(buf: np.ndarray, char: str) -> np.ndarray:
+    """Mask of the first byte of each occurrence of a character, or of a longer mark."""
+    raw = char.encode()
     out = np.zeros(len(buf), bool)
-    if len(buf) > 2:
-        out[:-2] = (buf[:-2] == a) & (buf[1:-1] == b) & (buf[2:] == c)
+    if 0 < len(raw) <= len(buf):
+        n = len(buf) - len(raw) + 1
+        out[:n] = buf[:n] == raw[0]
+        for i, byte in enumerate(raw[1:], 1):
+            out[:n] &= buf[i : n + i] == byte
     return out
 
 
@@ -66,7 +69,7 @@ def blanks(buf: np.ndarray) -> np.ndarray:
         out[:-1] |= nb
         out[1:] |= nb
     for ch in ("　", " ", " "):
-        m = np.flatnonzero(triple(buf, ch))
+        m = np.flatnonzero(places(buf, ch))
         for k in range(3):
             out[m + k] = True
     return out

@@ -77,8 +77,7 @@ def split_array(arr: pa.Array, delimiters: Sequence[str] = DELIMITERS) -> pa.Lis
     odd = np.zeros(n, bool)
     closed = np.zeros(len(buf), bool)
     for a, z in _PAIRS.items():
-        one = len(a.encode()) == 1
-        up, down = ((buf == ord(a)), (buf == ord(z))) if one else (B.triple(buf, a), B.triple(buf, z))
+        up, down = B.places(buf, a), B.places(buf, z)
         if not (up.any() or down.any()):
             continue
         depth = level(up.astype(np.int32) - down.astype(np.int32))
@@ -95,19 +94,16 @@ def split_array(arr: pa.Array, delimiters: Sequence[str] = DELIMITERS) -> pa.Lis
     if len(buf) > 2:
         near[1:-1] = digit[:-2] & digit[2:] & (row[:-2] == row[2:])
     cut = np.zeros(len(buf), bool)
-    width = np.ones(len(buf), np.int8)
+    width = np.ones(len(buf), np.int64)
     for d in delimiters:
-        raw = d.encode()
-        if len(raw) == 1:
-            m = buf == raw[0]
-            if d in BETWEEN_DIGITS:
-                m &= ~near
-        else:
-            m = B.triple(buf, d)
-            width[m] = 3
+        m = B.places(buf, d)
+        if d in BETWEEN_DIGITS:
+            m &= ~near
+        width[m] = np.maximum(width[m], len(d.encode()))
         cut |= m
     cut &= (inside == 0) & ~closed
     at = np.flatnonzero(cut)
+    at = at[np.diff(at, prepend=-(1 << 40)) >= width[np.roll(at, 1)]] if len(at) and width[at].max() > 4 else at  # a mark of several characters is one
     at = at[valid[row[at]] & ~odd[row[at]]]
 
     # The piece that ends at the j-th delimiter has the index j plus the rows before it.
@@ -130,29 +126,25 @@ def split_array(arr: pa.Array, delimiters: Sequence[str] = DELIMITERS) -> pa.Lis
     values = B.gather(buf, starts, ends)
     head, tail = buf[np.minimum(starts, max(len(buf) - 1, 0))] if len(buf) else starts, buf[ends - 1] if len(buf) else ends
     maybe = np.flatnonzero((head == 0x22) & (tail == 0x22) | (head == 0xE2) & (tail == 0x9D))
-    per_row = np.bincount(parent, minlength=n)
-    if len(maybe) or odd.any():
-        # Only quoted values and rows with unpaired marks are touched one by one.
-        lists = None
-        fixed = values.to_pylist() if odd.any() else None
-        plain = {int(k): _unquoted(values[int(k)].as_py()) for k in maybe}
-        if odd.any():
-            bounds = np.concatenate(([0], np.cumsum(per_row)))
-            for k, v in plain.items():
-                fixed[k] = v
-            lists = [fixed[bounds[r] : bounds[r + 1]] for r in range(n)]
-            marks = frozenset(delimiters)
-            for r in np.flatnonzero(odd & valid):
-                text = buf[off[r] : off[r + 1]].tobytes().decode()
-                lists[r] = [_unquoted(p.strip()) for p in _scan_row(text, marks) if p.strip()]
-            return pa.array([[v for v in x if v] for x in lists], pa.list_(pa.string()))
+    # Only quoted values and rows with unpaired marks are touched one by one.
+    plain = [_unquoted(values[int(k)].as_py()) for k in maybe]
+    if len(maybe):
         mask = np.zeros(len(values), bool)
         mask[maybe] = True
-        values = pc.replace_with_mask(values, pa.array(mask), pa.array([plain[int(k)] for k in maybe], pa.string()))
-        if any(v == "" for v in plain.values()):
+        values = pc.replace_with_mask(values, pa.array(mask), pa.array(plain, pa.string()))
+        if "" in plain:
             full = np.asarray(pc.greater(pc.binary_length(values), 0))
             values, parent = values.filter(pa.array(full)), parent[full]
-            per_row = np.bincount(parent, minlength=n)
+    if odd.any():
+        marks, extra, extra_parent = frozenset(delimiters), [], []
+        for r in np.flatnonzero(odd & valid):
+            found = [v for p in _scan_row(buf[off[r] : off[r + 1]].tobytes().decode(), marks) if p.strip() and (v := _unquoted(p.strip()))]
+            extra += found
+            extra_parent += [r] * len(found)
+        parent = np.concatenate((parent, np.array(extra_parent, np.int64)))
+        order = np.argsort(parent, kind="stable")
+        values, parent = pa.concat_arrays([values, pa.array(extra, pa.string())]).take(pa.array(order)), parent[order]
+    per_row = np.bincount(parent, minlength=n)
     bounds = np.concatenate(([0], np.cumsum(per_row))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(bounds), values)
 

@@ -60,3 +60,14 @@ def test_operator(spark):
     assert got == [(1, "p", 0, "a"), (1, "p", 0, "a"), (1, "p", 1, "b"), (1, "p", 1, "b")]
     assert out.filter("id = 5").count() == 20000
     assert packed.unpack(df.limit(0), "names", ["id"]).count() == 0
+
+
+def test_delimiters_of_any_width():
+    for mark in ("·", "§", "•", "\U0001f33f", "::", "<->"):
+        got = split_array(pa.array([f"a{mark}b {mark} c", None, f"{mark}", f'"x{mark}y"{mark}z', f"é{mark}“p{mark}q”"]), (mark,))
+        assert got.to_pylist() == [["a", "b", "c"], [], [], [f"x{mark}y", "z"], ["é", f"p{mark}q"]]
+
+
+def test_unpaired_marks_keep_their_place():
+    got = split_array(pa.array(["a; b", 'c"; d', "e; (f; g", "h", "", '"i; j"; k']))
+    assert got.to_pylist() == [["a", "b"], ['c"', "d"], ["e", "(f", "g"], ["h"], [], ["i; j", "k"]]
