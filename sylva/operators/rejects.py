@@ -5,7 +5,8 @@ the quotes and delimiters; runs of quotes and their parity give, for every
 field that opens with a quote, the place where it closes, all lines at once.
 Delimiters inside quoted fields are masked out; the rest are the field ends.
 Fields become Arrow columns, and count and type checks give each line either
-its typed values or the first reason that holds.
+its typed values or the first reason that holds. Raw text is cut into records
+first (``records``): line breaks inside quoted fields do not end one.
 
 Defined results: a null line counts as an empty one (``column_count``); blanks
 and carriage returns around a field are ignored; repeated lines are judged each.
@@ -13,7 +14,6 @@ and carriage returns around a field are ignored; repeated lines are judged each.
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -129,14 +129,93 @@ def index_lines(buf: np.ndarray, off: np.ndarray, delimiter: int = 0x7C) -> tupl
     return broken, pipe, row[pipe] if len(pipe) else pipe, opened
 
 
-def _dates(values: pa.Array) -> list[datetime.date | None]:
-    out: list[datetime.date | None] = []
-    for v in values.to_pylist():
-        try:
-            out.append(datetime.date.fromisoformat(v) if v else None)
-        except ValueError:
-            out.append(None)
-    return out
+def record_ends(buf: np.ndarray, delimiter: int = 0x7C) -> np.ndarray:
+    """Places of the line feeds that end a record of one raw text: those outside quoted fields.
+
+    Masks and the parity of quote runs settle all lines without a field that stays open;
+    only where one does is the text walked on, from quote run to quote run. A quote that
+    never closes ends with its line, so a broken record doesn't swallow the rest.
+    """
+    feeds = np.flatnonzero(buf == 0x0A)
+    if not (buf == 0x22).any():
+        return feeds
+    off = np.concatenate(([0], feeds + 1, [len(buf)]))
+    quote = np.flatnonzero(buf == 0x22)
+    solid = np.flatnonzero(~B.blanks(buf))
+    before = np.searchsorted(solid, quote) - 1
+    prev = np.where(before >= 0, solid[np.maximum(before, 0)], -1)
+    line = np.searchsorted(off, quote, side="right") - 1
+    may = (prev < off[line]) | (buf[np.maximum(prev, 0)] == delimiter)
+    runs = np.concatenate(([0], np.flatnonzero(np.diff(quote) != 1) + 1, [len(quote)]))
+    run_at, run_len = quote[runs[:-1]], np.diff(runs)
+    odd = run_len % 2 == 1
+    inner = np.zeros(len(feeds), bool)
+    k = 0  # the next quote run to look at
+    while k < len(run_at):
+        if not may[runs[k]]:
+            k += 1
+            continue
+        if run_len[k] % 2 == 0:
+            k += 1
+            continue
+        close = k + 1
+        while close < len(run_at) and not odd[close]:
+            close += 1
+        if close == len(run_at):
+            k += 1
+            continue
+        a, z = np.searchsorted(feeds, [run_at[k], run_at[close]])
+        after = np.searchsorted(solid, run_at[close] + run_len[close])
+        follows = solid[after] if after < len(solid) else len(buf)
+        # A closing quote is followed by a delimiter or the end of its line; else the field is broken and ends with its line.
+        stop = feeds[z] if z < len(feeds) else len(buf)
+        if a < z and follows < stop and buf[follows] != delimiter:
+            k = int(np.searchsorted(run_at, feeds[a]))
+            continue
+        inner[a:z] = True
+        k = close + 1
+    return feeds[~inner]
+
+
+def records(df: DataFrame, column: str, keep: Sequence[str], record: str = "record", number: str = "record_no") -> DataFrame:
+    """One row per non-empty record of each raw text: ``keep``, its number from 0 and the record without its line end.
+
+    A text is a whole file, or a part of one cut at record ends. Narrow: no shuffle.
+    """
+    names = names_apart(keep, [number, record])
+    types = kinds(df, keep)
+    schema = T.StructType([T.StructField(names[k], types[k]) for k in keep] + [T.StructField(number, T.IntegerType()), T.StructField(record, T.StringType())])
+    source = inputs(df, keep, [column])
+    width = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                raw = batch.column(width)[r].as_buffer()
+                if raw is None or raw.size == 0:
+                    continue
+                buf = np.frombuffer(raw, np.uint8)
+                ends = np.append(record_ends(buf), len(buf))
+                starts = np.concatenate(([0], ends[:-1] + 1))
+                ends = ends - ((ends > starts) & (buf[np.maximum(ends - 1, 0)] == 0x0D))
+                full = ends > starts
+                at = np.flatnonzero(full)
+                take = pa.array(np.full(len(at), r))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(width)], pa.array(np.arange(len(at)).astype(np.int32)), B.gather(buf, starts[full], ends[full])], names=schema.fieldNames())
+
+    return source.mapInArrow(run, schema)
+
+
+def _dates(values: pa.Array) -> pa.Array:
+    """Dates of the form YYYY-MM-DD; null for what isn't one in the calendar."""
+    part = lambda a, z: pc.utf8_slice_codeunits(values, a, z)
+    full = pc.equal(pc.utf8_length(values), 10)
+    y, m, d = (pc.if_else(full, part(a, z), None).cast(pa.int32()).to_numpy(zero_copy_only=False) for a, z in ((0, 4), (5, 7), (8, 10)))
+    y, m, d = (np.nan_to_num(np.asarray(x, float), nan=0).astype(np.int64) for x in (y, m, d))
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    days = np.array([0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[np.clip(m, 0, 12)] + ((m == 2) & leap)
+    good = (y >= 1) & (m >= 1) & (m <= 12) & (d >= 1) & (d <= days)
+    return pc.if_else(pa.array(good), values, None).cast(pa.date32())
 
 
 def parse_batch(lines: pa.Array, fields: Sequence[Field]) -> tuple[np.ndarray, list[pa.Array]]:
@@ -172,9 +251,9 @@ def parse_batch(lines: pa.Array, fields: Sequence[Field]) -> tuple[np.ndarray, l
         fits = np.asarray(pc.match_substring_regex(v, f.pattern or _FORM[f.kind]))
         if f.kind == "date":
             made = _dates(pc.if_else(pa.array(full & fits), v, ""))
-            good = np.array([d is not None for d in made], bool)
+            good = np.asarray(made.is_valid())
             bad |= full & ~good
-            columns.append(pa.array(made, pa.date32()))
+            columns.append(made)
             continue
         num = pc.if_else(pa.array(full & fits), v, None).cast(pa.float64())
         x = num.to_numpy(zero_copy_only=False)

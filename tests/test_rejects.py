@@ -105,3 +105,38 @@ def test_other_records(spark):
     df = spark.createDataFrame([("1|2.5",), ("10|1",), ("99999999999999999999|",)], "v string")
     got = [(r["reason"], r["a"], r["b"]) for r in rejects.parse_lines(df, "v", [], fields).collect()]
     assert got == [(None, 1, 2.5), ("bad_value", None, None), ("bad_value", None, None)]
+
+
+def test_record_ends():
+    cases = {
+        "a|b\nc|d": ["a|b", "c|d"],
+        'a|"b\nc"|d\ne|f\n': ['a|"b\nc"|d', "e|f"],
+        '"x ""y\n\nz"""|w\r\nq': ['"x ""y\n\nz"""|w', "q"],
+        'a|b "plain\nc" d|e': ['a|b "plain', 'c" d|e'],
+        'a|"never closed\nb|c\nd|e': ['a|"never closed', "b|c", "d|e"],
+        'a|"never closed\nb|"c"|d\ne|f': ['a|"never closed', 'b|"c"|d', "e|f"],
+        '""|a\n""\n"b"': ['""|a', '""', '"b"'],
+        "\n\na\n": ["a"],
+        "": [],
+    }
+    for raw, want in cases.items():
+        buf = np.frombuffer(raw.encode(), np.uint8)
+        ends = [*rejects.record_ends(buf).tolist(), len(buf)]
+        starts = [0, *[e + 1 for e in ends[:-1]]]
+        got = [t for a, z in zip(starts, ends, strict=True) if (t := raw.encode()[a:z].decode().rstrip("\r"))]
+        assert got == want, raw
+
+
+def test_records_of_raw_files(spark):
+    line = lambda i, text: "|".join([str(i), "", "Genus", *[""] * 9, text, *[""] * 9])
+    raw = "\r\n".join([line(1, '"two\nlines"'), line(2, "plain"), line("x", "bad"), "too|few"])
+    df = spark.createDataFrame([("f1", raw), ("f2", None), ("f3", "")], "file string, content string")
+    cut = rejects.records(df, "content", ["file"])
+    assert [r["record_no"] for r in cut.orderBy("record_no").collect()] == [0, 1, 2, 3]
+    got = {r["record_no"]: (r["reason"], r["description"]) for r in rejects.parse_lines(cut, "record", ["file", "record_no"]).collect()}
+    assert got == {0: (None, "two\nlines"), 1: (None, "plain"), 2: ("bad_value", None), 3: ("column_count", None)}
+
+
+def test_dates_of_the_calendar():
+    days = ["2000-02-29", "1900-02-29", "2023-04-31", "1999-12-31", "0000-01-01", "2024-13-01", ""]
+    assert [d.isoformat() if d else None for d in rejects._dates(pa.array(days)).to_pylist()] == ["2000-02-29", None, None, "1999-12-31", None, None, None]
