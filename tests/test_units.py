@@ -36,11 +36,57 @@ def test_masses():
 
 
 def test_dimensions():
-    assert UNITS["cm"].power(2).dims == (2, 0, 0)
+    assert UNITS["cm"].power(2).dims == (2, 0, 0, 0)
+    assert UNITS["g"].times(UNITS["cm"].power(-3)).dims == (-3, 1, 0, 0)
     assert UNITS["°C"].canonical(0) == pytest.approx(273.15)
     assert UNITS["°F"].canonical(32) == pytest.approx(273.15)
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["density 5 g/cm³", "10 km/h", "5 kg m-2", "5 kg m⁻²", "3 mg/l", "4 g·cm^-3", "10 m s-1", "5 cm per year", "3 m2", "2 kg/ha", "5 cm²", "6 m³"],
+)
+def test_other_dimensions_are_no_lengths_or_masses(text):
+    assert read_quantities(text) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("-5 m alt.", [(1, "length", -5_000_000)]),
+        ("alt. −5 m", [(6, "length", -5_000_000)]),
+        ("3 -5 m", [(0, "length", 3_000_000), (3, "length", 5_000_000)]),
+        ("leaf 3-5 m", [(5, "length", 3_000_000), (7, "length", 5_000_000)]),
+        ("twenty-five cm", [(0, "length", 250_000)]),
+        ("Thirty to forty-two cm", [(0, "length", 300_000), (10, "length", 420_000)]),
+        ("vingt et un mm", [(0, "length", 21_000)]),
+        ("quatre-vingt-dix m", [(0, "length", 90_000_000)]),
+        ("fünfundzwanzig cm", [(0, "length", 250_000)]),
+        ("two hundred metres", [(0, "length", 200_000_000)]),
+        ("5 lb, 2 oz", [(0, "mass", 2_267_961_850), (6, "mass", 56_699_046)]),
+        ("2 yd and 3 miles", [(0, "length", 1_828_800), (9, "length", 4_828_032_000)]),
+        ("1500 nm", [(0, "length", 2)]),
+        ("5 m/s, then 3 cm", [(12, "length", 30_000)]),
+        ("Seeds 5 mm/3 mm", [(6, "length", 5_000), (11, "length", 3_000)]),
+        ("8 g·m·m⁻¹", [(0, "mass", 8_000_000)]),
+    ],
+)
+def test_grammar(text, want):
+    got = read_quantities(text)
+    assert got == want
+
+
+def test_number_words():
+    assert [units.NUMBER_WORDS[w] for w in ("ninety-nine", "soixante et onze", "quatre-vingt-dix-neuf", "neunundneunzig", "zwölf", "neuf cents")] == [99, 71, 99, 99, 12, 900]
+    for w, v in units.NUMBER_WORDS.items():
+        assert read_quantities(f"{w} km") == [(0, "length", v * 10**9)], w
+
+
+def test_values_beyond_a_long(spark):
+    df = spark.createDataFrame([(1, "99999999999999999999 km"), (2, "3 km")], "id long, t string")
+    assert {r["id"]: r["base_value"] for r in units.quantities(df, ["t"], ["id"]).collect()} == {1: None, 2: 3 * 10**9}
+
+
 def test_operator(spark):
     long = "Leaves 5 mm. " * 20000
     rows = [(1, "3 mm", None, 1), (2, None, "", 2), (3, long, "alt. 5 m", 3), (1, "3 mm", None, 1)]
