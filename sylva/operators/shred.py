@@ -7,8 +7,8 @@ the path is there. The tables are then rebuilt from these level sequences
 alone, with running counts over a whole batch of records: an ancestor's number
 is the count of entries that start one since its own parent started.
 
-Defined results: a null or malformed record has no rows (``malformed`` counts
-them); a missing level has no rows; a missing attribute is ``''``; attribute
+Defined results: a null record has no rows; a malformed one has a single row if
+``malformed`` names it, with the parser's message; a missing level has no rows; a missing attribute is ``''``; attribute
 values are as the XML parser gives them; records of any size are read whole.
 """
 
@@ -66,9 +66,9 @@ class Columns:
         self.value: list[list[str | None]] = [[] for _ in self.nodes]
         self.body: list[list[str | None]] = [[] for _ in self.nodes]
         self.record: list[list[int]] = [[] for _ in self.nodes]
-        self.malformed = 0
+        self.malformed: list[tuple[int, str]] = []  # record, message
 
-    def _read(self, xml: str) -> list | None:
+    def _read(self, xml: str, record: int) -> list | None:
         """The elements of the schema as nested lists [attribute, text parts, children by place]."""
         attribute, text = self.attribute, self.text
         stack: list[tuple[Node | None, list | None]] = []
@@ -102,9 +102,11 @@ class Columns:
             p.CharacterDataHandler = lambda s: stack[-1][1][1].append(s) if stack[-1][1] is not None else None
         try:
             p.Parse(xml.encode("utf-8", "surrogatepass"), True)
-        except (expat.ExpatError, UnicodeError):
-            self.malformed += 1
+        except (expat.ExpatError, UnicodeError) as e:
+            self.malformed.append((record, str(e)))
             return None
+        if not top:
+            self.malformed.append((record, f"no {self.root.tag}"))
         return top[0] if top else None
 
     def _write(self, node: Node, element: list | None, rep: int, define: int, record: int) -> None:
@@ -125,7 +127,7 @@ class Columns:
     def add(self, xml: str | None, record: int) -> None:
         if xml is None:
             return
-        tree = self._read(xml)
+        tree = self._read(xml, record)
         if tree is not None:
             self._write(self.root, tree, 0, 0, record)
 
@@ -160,14 +162,16 @@ def _tables(node: Node, above: Node) -> Iterator[tuple[Node, Node]]:
             yield from _tables(c, above if c.level > 1 else c)
 
 
-def shred(df: DataFrame, column: str, keep: Sequence[str], root: Node | None = None, attribute: str = "class", text: bool = False) -> DataFrame:
+def shred(df: DataFrame, column: str, keep: Sequence[str], root: Node | None = None, attribute: str = "class", text: bool = False, malformed: str | None = None) -> DataFrame:
     """One row per element of each table of the schema: ``taxon_no, node, parent_no,
     node_no, node_class`` (and ``node_text``), after the ``keep`` columns.
 
     ``taxon_no`` numbers the outermost repeated element of the record;
     ``node_no`` counts within the outermost element for tables that have no table
     above them, else within the parent row. ``node_text`` is the text of an element
-    outside its listed children. Narrow: no shuffle.
+    outside its listed children. With ``malformed`` each record that can't be read
+    gives one row: that name as ``node``, the message as ``node_class``, the numbers
+    null. Narrow: no shuffle.
     """
     root = root or treatment_schema()
     produced = ["taxon_no", "node", "parent_no", "node_no", "node_class", *(["node_text"] if text else [])]
@@ -187,6 +191,12 @@ def shred(df: DataFrame, column: str, keep: Sequence[str], root: Node | None = N
                 cols = Columns(root, attribute, text)
                 for i, xml in enumerate(batch.column(width).to_pylist()):
                     cols.add(xml, i)
+                if malformed and cols.malformed:
+                    record = np.array([r for r, _ in cols.malformed])
+                    out = [batch.column(i).take(pa.array(record)) for i in range(width)]
+                    none = pa.nulls(len(record), pa.int32())
+                    out += [none, pa.array([malformed] * len(record), pa.string()), none, none, pa.array([m for _, m in cols.malformed], pa.string())]
+                    yield pa.RecordBatch.from_arrays([*out, *([pa.nulls(len(record), pa.string())] if text else [])], names=schema.fieldNames())
                 for node, above in _tables(root, root):
                     rows, outer, up, own = cols.rebuild(node, above)
                     if not len(rows):

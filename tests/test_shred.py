@@ -62,3 +62,12 @@ def test_operator(spark):
     assert {r[0] for r in out.select("treatment_id").distinct().collect()} == {1, 5}
     assert out.filter("treatment_id = 5 and node = 'char'").count() == 3000
     assert shred.shred(df.limit(0), "body", ["treatment_id"]).count() == 0
+
+
+def test_malformed_records_are_reported(spark):
+    rows = [(1, "<treatment><taxon><feature class='a'/></taxon></treatment>"), (2, "<treatment><taxon>"), (3, None), (4, ""), (5, "<other/>")]
+    df = spark.createDataFrame(rows, "id long, body string")
+    got = {r["id"]: r for r in shred.shred(df, "body", ["id"], malformed="malformed").collect()}
+    assert sorted(got) == [1, 2, 4, 5] and got[1]["node"] == "feature"
+    assert all(got[k]["node"] == "malformed" and got[k]["node_class"] and got[k]["node_no"] is None for k in (2, 4, 5))
+    assert [r["id"] for r in shred.shred(df, "body", ["id"]).collect()] == [1]
