@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-OBO_TERM = "id string, name string, synonyms array<string>, xrefs array<string>, is_a array<string>, subsets array<string>, is_obsolete boolean, replaced_by string"
-GAZETTEER = "name string, id string, kind string, source string"
 LEXICON = "_c0 string, english string, french string, french_pretty string"
-VOCAB = "category string, sub1 string, sub2 string, names string, definition string"
 EQ = "taxon string, e_name string, e_id string, q_name string, q_id string, score double, text string"
-ENVIRONMENT = "taxon string, name string, id string, score double, text string"
 TRAIT = "name string, name2 string, e1 string, e2 string, q string, trait string, label string"
 ANNOTATION = "taxon_iri string, taxon string, class_iri string"
 LABEL = "id string, label string"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,3 +42,64 @@ def owl_document(axioms: DataFrame, iri: str) -> DataFrame:
     head = spark.createDataFrame([(-1, f"Ontology(<{iri}>")], "ord long, line string")
     foot = spark.createDataFrame([(2**62, ")")], "ord long, line string")
     return head.unionByName(axioms.select(F.col("ord").cast("long").alias("ord"), F.col("axiom").alias("line"))).unionByName(foot)
+
+
+def write_raw(df: DataFrame, path: str, separator: str = "\n") -> None:
+    """A one-column table as text; records may hold line breaks of their own."""
+    df.select(F.col(f"`{df.columns[0]}`").cast("string").alias("value")).write.mode("overwrite").option("lineSep", separator).text(path)
+
+
+def write_elements(df: DataFrame, path: str, root: str, attributes: str = "") -> None:
+    """A one-column table of XML elements as documents, one per task, each under a root of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            values = [v for v in batch.column(0).to_pylist() if v is not None]
+            if first and values:
+                values.insert(0, f"<{root}{attributes}>")
+                first = False
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["value"])
+        if not first:
+            yield pa.RecordBatch.from_arrays([pa.array([f"</{root}>"])], names=["value"])
+
+    write_raw(df.select(F.col(f"`{df.columns[0]}`").cast("string").alias("value")).mapInArrow(run, "value string"), path)
+
+
+def write_obo(terms: DataFrame, path: str) -> None:
+    """Term stanzas, parted by blank lines. ``terms``: id, name, synonyms, xrefs, is_a, subsets, is_obsolete, replaced_by."""
+    lines = lambda c, make: F.array_join(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), make), "")
+    stanza = F.concat(
+        F.lit("[Term]\nid: "), "id", F.concat(F.lit("\nname: "), F.coalesce("name", F.lit(""))),
+        lines("synonyms", lambda x: F.concat(F.lit('\nsynonym: "'), x, F.lit('" EXACT []'))),
+        lines("xrefs", lambda x: F.concat(F.lit('\nxref: X:1 "'), x, F.lit('"'))),
+        lines("is_a", lambda x: F.concat(F.lit("\nis_a: "), x, F.lit(" ! parent"))),
+        lines("is_a", lambda x: F.concat(F.lit("\nrelationship: part_of "), x, F.lit(" ! parent"))),
+        lines("subsets", lambda x: F.concat(F.lit("\nsubset: "), x)),
+        F.when(F.col("is_obsolete"), F.lit("\nis_obsolete: true")).otherwise(F.lit("")),
+        F.coalesce(F.concat(F.lit("\nreplaced_by: "), "replaced_by"), F.lit("")),
+    )
+    write_raw(terms.select(stanza), path, "\n\n")
+
+
+def _escaped(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def xml_record(tag: str, values: dict[str, Column]) -> Column:
+    """A flat element with one child for each value that isn't null."""
+    kids = [F.coalesce(F.concat(F.lit(f"<{t}>"), _escaped(c), F.lit(f"</{t}>")), F.lit("")) for t, c in values.items()]
+    return F.concat(F.lit(f"<{tag}>"), *kids, F.lit(f"</{tag}>"))
+
+
+def rdf_classes(terms: DataFrame, base: str) -> DataFrame:
+    """Classes as RDF/XML elements: label, parents, deprecation, and the replacement as an equivalent class."""
+    iri = lambda c: F.concat(F.lit(base), F.replace(c, F.lit(":"), F.lit("_")))
+    parents = F.array_join(F.transform("is_a", lambda p: F.concat(F.lit('<rdfs:subClassOf rdf:resource="'), iri(p), F.lit('"/>'))), "")
+    return terms.select(F.concat(
+        F.lit('<owl:Class rdf:about="'), iri(F.col("id")), F.lit('"><rdfs:label>'), _escaped(F.col("name")), F.lit("</rdfs:label>"), parents,
+        F.coalesce(F.concat(F.lit('<owl:equivalentClass rdf:resource="'), iri(F.col("replaced_by")), F.lit('"/>')), F.lit("")),
+        F.when(F.col("is_obsolete"), F.lit("<owl:deprecated>true</owl:deprecated>")).otherwise(F.lit("")), F.lit("</owl:Class>"),
+    ))

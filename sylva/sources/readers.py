@@ -90,9 +90,9 @@ def pipe_descriptions(spark: SparkSession, path: str, width: int = 22) -> DataFr
     return spark.read.csv(path, sep="|", schema=schema, quote="")
 
 
-def csv_descriptions(spark: SparkSession, path: str) -> DataFrame:
-    """Quoted CSV with a header."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+def csv_descriptions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Quoted CSV with a header, read under an explicit schema."""
+    return spark.read.csv(path, header=True, schema=schema, multiLine=True, quote='"', escape='"')
 
 
 def comma_glossary(spark: SparkSession, path: str) -> DataFrame:
@@ -138,6 +138,14 @@ def trait_table(spark: SparkSession, path: str) -> DataFrame:
     return tsv(spark, path, schemas.TRAIT)
 
 
+def annotation_table(spark: SparkSession, path: str) -> DataFrame:
+    return tsv(spark, path, schemas.ANNOTATION)
+
+
+def environment_table(spark: SparkSession, path: str) -> DataFrame:
+    return tsv(spark, path, schemas.TAXON_ENV)
+
+
 def label_table(spark: SparkSession, path: str) -> DataFrame:
     return tsv(spark, path, schemas.LABEL)
 
@@ -146,7 +154,7 @@ def enrichment_results(spark: SparkSession, folder: str) -> DataFrame:
     """(group, id, sign, under, over) of ``*/groups.txt``; the group is the folder's name and rows without numbers are dropped."""
     schema = ", ".join(f"_c{i} string" for i in range(11))
     rows = spark.read.csv(f"{folder}/*/groups.txt", sep="\t", schema=schema, quote="")
-    group = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
+    group = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/groups[.]txt(?:/[^/]+)?$", 1)
     num = lambda c: F.expr(f"try_cast(trim({c}) as double)")
     return rows.select(group.alias("group"), F.col("_c2").alias("id"), F.col("_c3").alias("sign"), num("_c9").alias("under"), num("_c10").alias("over")).filter(
         F.col("under").isNotNull() & F.col("over").isNotNull()
@@ -154,12 +162,13 @@ def enrichment_results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def owl_classes(spark: SparkSession, path: str) -> DataFrame:
-    """(id, label, deprecated, parents) of the classes of an RDF/XML document."""
-    schema = "`_rdf:about` string, `rdfs:label` array<string>, `owl:deprecated` array<string>, `rdfs:subClassOf` array<struct<`_rdf:resource`:string>>"
+    """(id, label, deprecated, parents, equivalents) of the classes of an RDF/XML document; unnamed classes are left out."""
+    schema = "`_rdf:about` string, `rdfs:label` array<string>, `owl:deprecated` array<string>, `rdfs:subClassOf` array<struct<`_rdf:resource`:string>>, `owl:equivalentClass` array<struct<`_rdf:resource`:string>>"
     rows = spark.read.format("xml").option("rowTag", "owl:Class").schema(schema).load(path)
     return rows.filter(quoted("_rdf:about").isNotNull()).select(
         quoted("_rdf:about").alias("id"),
         F.get(quoted("rdfs:label"), F.lit(0)).alias("label"),
         (F.lower(F.trim(F.get(quoted("owl:deprecated"), F.lit(0)))) == "true").alias("deprecated"),
         F.filter(F.transform(quoted("rdfs:subClassOf"), lambda s: s["_rdf:resource"]), lambda x: x.isNotNull()).alias("parents"),
+        F.filter(F.transform(quoted("owl:equivalentClass"), lambda s: s["_rdf:resource"]), lambda x: x.isNotNull()).alias("equivalents"),
     )

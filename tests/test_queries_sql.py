@@ -7,10 +7,10 @@ import os
 import pytest
 
 from oracle import rows_of, rows_of_sql
-from sylva.plans import fact_queries, general, text_queries
+from sylva.plans import fact_queries, file_queries, general, text_queries
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = (general, text_queries, fact_queries)
+MODULES = (general, text_queries, fact_queries, file_queries)
 ALL = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 

@@ -62,7 +62,7 @@ def test_delimited(spark, tmp_path):
     r = R.pipe_descriptions(spark, str(tmp_path / "p.csv")).first()
     assert r["_c1"] == "Fam" and r["_c21"] is None
     (tmp_path / "h.csv").write_text('Taxon Name,Description\n"A, b","x ""y"" z"\n')
-    assert tuple(R.csv_descriptions(spark, str(tmp_path / "h.csv")).first()) == ("A, b", 'x "y" z')
+    assert tuple(R.csv_descriptions(spark, str(tmp_path / "h.csv"), "taxon string, description string").first()) == ("A, b", 'x "y" z')
     (tmp_path / "g.csv").write_text('# comment line\nab,c\n"leaf",x,PO:1\n')
     assert [tuple(r) for r in R.comma_glossary(spark, str(tmp_path / "g.csv")).collect()] == [("leaf", "PO:1")]
     (tmp_path / "l.tsv").write_text("1\tleaf\tfeuille\tFeuille\n")
